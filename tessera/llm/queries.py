@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing
+from tessera.llm import bpe, packing, quality_rules, wacz
 from tessera.llm.common import table
 
 
@@ -29,6 +29,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the verdict of weakly supervised rules on every document."""
+    return quality_rules.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records into ZIP packages and read back by range."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    records = wacz.read(wacz.write(pages))
+    return records.select("page_id", F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long").alias("block_bytes"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack_texts(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -36,7 +48,24 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_quality_rules": op3_quality_rules,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages
+        ), first AS (
+            SELECT html, max(page_id) AS page_id FROM p WHERE payload_bytes >= 1000 GROUP BY html
+        )
+        SELECT p.page_id,
+               CAST(CASE WHEN p.page_id < first.page_id THEN 0 ELSE payload_bytes END AS BIGINT) AS block_bytes,
+               payload_bytes,
+               sha1(p.html) AS payload_digest,
+               CASE WHEN p.page_id < first.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN p.page_id < first.page_id THEN first.page_id END AS refers_to
+        FROM p LEFT JOIN first ON p.html = first.html AND p.payload_bytes >= 1000
+    """,
+}
