@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, quality_rules, wacz
-from tessera.llm.common import table
+from tessera.llm import bpe, language, packing, quality_ranking, quality_rules, toxicity, wacz
+from tessera.llm.common import fold, table
 
 
 def tokenizer_path() -> str:
@@ -34,6 +34,29 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = quality_ranking.training_labels(table(spark, sf_dir, "labels", "doc_id", "quality"), 5, 0)
+    out = quality_ranking.score(docs, quality_ranking.fit(docs, labels))
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    out = language.predict(docs, language.fit(docs.where(fold("doc_id", 4) != 2)))
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learned outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = quality_ranking.training_labels(table(spark, sf_dir, "labels", "doc_id", "toxic"), 4, 2)
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records into ZIP packages and read back by range."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
@@ -49,6 +72,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_language_id": op5_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
 }
