@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, packing, quality_ranking, quality_rules, toxicity, wacz
+from tessera.llm import bpe, language, packing, quality_ranking, quality_rules, spotsigs, toxicity, wacz
 from tessera.llm.common import fold, table
 
 
@@ -49,6 +49,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    out = spotsigs.compare_with_edits(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint("signatures").alias("fingerprint"),
+        spotsigs.fingerprint("edited_signatures").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        spotsigs.length_partition("signatures").alias("length_partition"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents, learned outside fold 2 of 4."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -74,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
+    "op6_spotsigs": op6_spotsigs,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
