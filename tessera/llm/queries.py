@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, packing, quality_ranking, quality_rules, spotsigs, suffix_dedup, toxicity, wacz
+from tessera.llm import bpe, language, minhash_dedup, packing, quality_ranking, quality_rules, spotsigs, suffix_dedup, toxicity, wacz
 from tessera.llm.common import fold, table
 
 
@@ -29,6 +29,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on 4-word shingles at 0.8."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=4)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the verdict of weakly supervised rules on every document."""
     return quality_rules.score(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -93,6 +98,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_language_id": op5_language_id,
