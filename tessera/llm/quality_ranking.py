@@ -148,16 +148,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: f
     return fit_pairs(np.array([r.x for r in got], np.float64).reshape(-1, len(FIGURES)), np.array([r.label for r in got]), threshold)
 
 
-def score(df: DataFrame, model: Ranking, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score, predicted) of each row, null texts as empty ones; no shuffle, one row at a time."""
-    kept = dict(df.dtypes)[key]
+def score(df: DataFrame, model: Ranking, text: str = "text", key: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, extra columns, score, predicted) of each row, null texts as empty ones; no shuffle, one row at a time."""
+    columns = [key, *extra]
 
     def step(batches):
         for b in batches:
-            x = np.array([figures(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, len(FIGURES))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.probability(x))], [key, "score"])
+            x = np.array([figures(t) for t in b.column(0).to_pylist()], np.float64).reshape(-1, len(FIGURES))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(model.probability(x))], [*columns, "score"])
 
-    scored = df.select(key, text).mapInArrow(step, f"`{key}` {kept}, score double")
+    named = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in columns)
+    scored = df.select(F.col(text).alias("__text"), *columns).mapInArrow(step, f"{named}, score double")
     return scored.withColumn("predicted", (F.col("score") >= model.threshold).cast("int"))
 
 

@@ -385,11 +385,12 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _runs(docs[row[n > 1]], starts[row[n > 1]])
 
 
-def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", extra: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """(key, extra columns, n_bytes, spans, kept) of each row: its text without the bytes of repeated strings.
 
     ``spans`` are the removed runs [start, end) of bytes, ``kept`` the rest as
-    binary, since a cut may fall inside a character.  Strings are compared over
+    binary, since a cut may fall inside a character; ``as_text`` gives it as text
+    without such halves of characters.  Strings are compared over
     all rows and within each; a row that occurs twice is its own copy.  A null
     text counts as empty; texts under 200 bytes stay as they are; an empty table
     gives no rows.
@@ -431,7 +432,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", extra
                     spans.append([])
                 sizes.append(len(raw))
                 kept.append(cut(raw, spans[-1]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(sizes, pa.int64()), _spans(spans), pa.array(kept, pa.binary())], [*columns, "n_bytes", "spans", "kept"])
+            rest = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(sizes, pa.int64()), _spans(spans), rest], [*columns, "n_bytes", "spans", "kept"])
 
     named = ", ".join(f"`{c}` {dict(chosen.dtypes)[c]}" for c in columns)
-    return chosen.mapInArrow(finish, f"{named}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    return chosen.mapInArrow(finish, f"{named}, n_bytes long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}")

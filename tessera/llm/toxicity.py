@@ -173,15 +173,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     return Classifier(buckets, w * ratios, bias)
 
 
-def score(df: DataFrame, model: Classifier, threshold: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score, predicted) of each row, a null text as empty; no shuffle, blocks of bounded size."""
+def score(df: DataFrame, model: Classifier, threshold: float = 0.3, text: str = "text", key: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(key, extra columns, score, predicted) of each row, a null text as empty; no shuffle, blocks of bounded size."""
+    columns = [key, *extra]
 
     def step(batches):
         table = model.table()
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(0).to_pylist()]
             for i, j in ranges(texts):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(model.score(texts[i:j], table))], [key, "score"])
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in b.columns[1:]], pa.array(model.score(texts[i:j], table))], [*columns, "score"])
 
-    scored = df.select(key, text).mapInArrow(step, f"`{key}` {dict(df.dtypes)[key]}, score double")
+    named = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in columns)
+    scored = df.select(F.col(text).alias("__text"), *columns).mapInArrow(step, f"{named}, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
