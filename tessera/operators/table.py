@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tessera.functions.aggregates import aggregate_column
 from tessera.operators import joins, windows
 
-#: (input column or None, aggregate name) by output column.
+#: Holds the validity of rows that ``resize`` adds.
+HIDDEN = "__valid"
+#: (aggregate name, input column or None) by output column.
 Spec = Mapping[str, tuple[str, str | None]]
 
 
@@ -41,7 +43,7 @@ class Table(joins.Joins, windows.Windows):
     @property
     def df(self) -> DataFrame:
         """The valid rows."""
-        return self._base if self._valid is None else self._base.where(self._valid)
+        return (self._base if self._valid is None else self._base.where(self._valid)).drop(HIDDEN)
 
     @property
     def valid(self) -> Column:
@@ -49,11 +51,11 @@ class Table(joins.Joins, windows.Windows):
 
     @property
     def columns(self) -> list[str]:
-        return self._base.columns
+        return [c for c in self._base.columns if c != HIDDEN]
 
     @property
     def schema(self):
-        return self._base.schema
+        return self._base.drop(HIDDEN).schema
 
     def count(self) -> int:
         return self.df.count()
@@ -83,13 +85,13 @@ class Table(joins.Joins, windows.Windows):
 
     def revalidate(self) -> Table:
         """All rows valid again, whatever was filtered since rows were last moved."""
-        return self._new(self._base)
+        return self._new(self._base.drop(HIDDEN))
 
     def mask(self, value: int = 2**63 - 1) -> Table:
         """Invalid rows stay, with ``value`` in every column."""
         if self._valid is None:
             return self
-        return self._new(self._base.select(*[F.when(self._valid, F.col(c)).otherwise(F.lit(value).cast(t)).alias(c) for c, t in self._base.dtypes]))
+        return self._new(self._base.select(*[F.when(self._valid, F.col(c)).otherwise(F.lit(value).cast(t)).alias(c) for c, t in self._base.dtypes if c != HIDDEN]))
 
     def finalize(self, shuffle: bool = True, seed: int = 0) -> Table:
         """Only valid rows, in random order."""
@@ -98,13 +100,6 @@ class Table(joins.Joins, windows.Windows):
 
     # -- shaping --------------------------------------------------------------
 
-    def _moved(self, change) -> Table:
-        """A change of columns that keeps the validity, which may depend on columns that change."""
-        if self._valid is None:
-            return self._new(change(self._base))
-        held = change(self._base.withColumn("__valid", self._valid))
-        return self._new(held, F.col("__valid")) if "__valid" in held.columns else self._new(held)
-
     def select(self, *names: str) -> Table:
         return self._new(self.df.select(*names))
 
@@ -159,9 +154,9 @@ class Table(joins.Joins, windows.Windows):
         if n <= have:
             return self.head(n, order or sorted(self.columns))
         spark = self._base.sparkSession
-        rows = self.df.withColumn("__valid", F.lit(True))
-        pad = spark.range(n - have).select(*[F.lit(0).cast(t).alias(c) for c, t in self._base.dtypes], F.lit(False).alias("__valid"))
-        return self._new(rows.unionByName(pad), F.col("__valid"))
+        rows = self.df.withColumn(HIDDEN, F.lit(True))
+        pad = spark.range(n - have).select(*[F.lit(0).cast(t).alias(c) for c, t in self._base.dtypes if c != HIDDEN], F.lit(False).alias(HIDDEN))
+        return self._new(rows.unionByName(pad), F.col(HIDDEN))
 
     def pad_power_of_two(self) -> Table:
         return self.resize(1 << self.count().bit_length())

@@ -30,7 +30,7 @@ def generate_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
     r = lambda low, high, salt, name: between(low, high, salt).alias(name)
     customer = spark.range(n_c).select(F.col("id").alias("c_custkey"), r(0, 24, "cn", "c_nationkey"), r(-99_999, 999_999, "ca", "c_acctbal"), r(1, 5, "cm", "c_mktsegment"), r(0, 15, "cc", "c_comment"), r(10, 34, "cp", "c_cntrycode"))
     orders = spark.range(n_o).select(F.col("id").alias("o_orderkey"), r(0, n_c - 1, "oc", "o_custkey"), r(1, 5, "op", "o_orderpriority"), r(0, 2400, "od", "o_orderdate"), r(100, 50_000_000, "ot", "o_totalprice"), r(0, 2, "os", "o_orderstatus"), r(0, 15, "om", "o_comment"))
-    lines = spark.range(n_o).select(F.col("id").alias("l_orderkey"), F.explode(F.sequence(F.lit(0), between(0, 6, "ln"))).cast("long").alias("l_linenumber")).withColumn("id", F.col("l_orderkey") * 7 + F.col("l_linenumber"))
+    lines = spark.range(n_o).select(F.col("id").alias("l_orderkey"), F.explode(F.sequence(F.lit(0).cast("long"), between(0, 6, "ln"))).alias("l_linenumber")).withColumn("id", F.col("l_orderkey") * 7 + F.col("l_linenumber"))
     ship = between(0, 2400, "od", "l_orderkey") + between(1, 121, "ls")
     lineitem = lines.select(
         "l_orderkey", "l_linenumber", r(0, n_p - 1, "lp", "l_partkey"), r(0, n_s - 1, "lu", "l_suppkey"), r(1, 50, "lq", "l_quantity"), r(100, 10_000_000, "le", "l_extendedprice"), r(0, 9, "ld", "l_discount"),
