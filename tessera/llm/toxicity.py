@@ -98,14 +98,23 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, columns: int, ridge: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Coefficients and bias of a ridge logistic regression on sparse features, by Adam on the whole set."""
-    w, m, v = np.zeros(columns + 1), np.zeros(columns + 1), np.zeros(columns + 1)
+def logistic(sizes: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Coefficients and bias of a ridge logistic regression, by Adam on the whole set.
+
+    A row has the next ``sizes`` of ``column``; a column that it has counts as
+    ``scale`` there.  Beside ``column`` one array of its length is held at a time.
+    """
+    n = len(scale)
+    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     w[-1] = math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
     for t in range(1, rounds + 1):
-        z = w[-1] + np.bincount(row, weights=w[column] * value, minlength=len(y))
+        z = np.full(len(y), w[-1])
+        if len(some):
+            z[some] += np.add.reduceat((w[:-1] * scale)[column], starts)
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(column, weights=e[row] * value, minlength=columns) + ridge * w[:-1], e.sum()) / max(1, len(y))
+        g = np.append(np.bincount(column, weights=np.repeat(e, sizes), minlength=n) * scale + ridge * w[:-1], e.sum()) / max(1, len(y))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w[:-1], float(w[-1])
@@ -161,15 +170,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
             texts = [t or "" for t in b.column(0).to_pylist()]
             for i, j in ranges(texts):
                 doc, bucket = present(texts[i:j], wanted)
-                ends = np.cumsum(np.bincount(doc, minlength=j - i)[: j - i])
-                found = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.searchsorted(buckets, bucket), pa.int32()))
-                yield pa.RecordBatch.from_arrays([found, b.column(1).slice(i, j - i)], ["found", "label"])
-
-    got = sorted(train.mapInArrow(pick, "found array<int>, label int").collect(), key=lambda r: (r.label, r.found))
-    sizes = [len(r.found) for r in got]
-    column = np.array([c for r in got for c in r.found], np.int64)
-    row = np.repeat(np.arange(len(got)), sizes)
-    w, bias = logistic(row, column, ratios[column], np.array([r.label for r in got], float), len(buckets))
+                parts = np.split(np.searchsorted(buckets, bucket).astype("<i4"), np.cumsum(np.bincount(doc, minlength=j - i)[: j - i])[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in parts], pa.binary()), b.column(1).slice(i, j - i)], ["found", "label"])
+
+    got = sorted((r.label, bytes(r.found)) for r in train.mapInArrow(pick, "found binary, label int").collect())
+    y = np.array([label for label, _ in got], float)
+    sizes = np.array([len(x) // 4 for _, x in got], np.int64)
+    column = np.frombuffer(b"".join(x for _, x in got), "<i4")
+    del got
+    w, bias = logistic(sizes, column, ratios, y)
     return Classifier(buckets, w * ratios, bias)
 
 
