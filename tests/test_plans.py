@@ -3,8 +3,8 @@ import pytest
 from tests.oracle import compare
 from tessera.plans import ORACLE_SQL, QUERIES
 
-#: Queries that may be empty on the smallest tables.
-SPARSE = {"tpch_q2", "tpch_q18", "tpch_q20", "tpch_q21", "tpch_q22", "join_compound", "set_intersect", "set_subtract", "aggregate_having"}
+#: On the smallest tables some of the queries have no rows.
+SF_DIR = "/root/testdata/sf0.01"
 
 
 def test_every_query_has_sql():
@@ -12,5 +12,5 @@ def test_every_query_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_equals_its_sql(spark, sf_dir, name):
-    assert compare(spark, sf_dir, QUERIES[name], ORACLE_SQL[name]) or name in SPARSE
+def test_query_equals_its_sql(spark, name):
+    assert compare(spark, SF_DIR, QUERIES[name], ORACLE_SQL[name]) > 0
