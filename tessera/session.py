@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def reach_package(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it.
+
+    That serves workers that see the same path; elsewhere install the package or
+    pass it with ``--py-files``.
+    """
+    env = spark.sparkContext.environment
+    paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    return spark
+
 
 def build_session(name: str = "tessera", cpus: int | str = "*", shuffle_partitions: int | None = None, **conf: object) -> SparkSession:
     """A session with adaptive execution and the UTC time zone.
@@ -24,4 +42,4 @@ def build_session(name: str = "tessera", cpus: int | str = "*", shuffle_partitio
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings |= {k.replace("__", "."): str(v) for k, v in conf.items()}
     builder = SparkSession.builder.appName(name).config(map=settings)
-    return builder.master(f"local[{cpus}]").getOrCreate()
+    return reach_package(builder.master(f"local[{cpus}]").getOrCreate())
