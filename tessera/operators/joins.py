@@ -1,14 +1,13 @@
 """Joins of a side with unique keys (left) and a side that refers to it (right).
 
 The left side contributes only the columns named in ``copy``, zeros stand for
-missing values, and ``aggs`` fuses a group-by of the right side: it is
+missing numbers (missing strings and dates stay null), and ``aggs`` fuses a group-by of the right side: it is
 aggregated by key before the join, so the join sees one row for each key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,8 +109,3 @@ class Joins:
         by = group or keys
         mine = right.df.groupBy(*dict.fromkeys([*keys, *by])).agg(F.count(F.lit(1)).alias("__m"))
         return self._new(mine.join(counts, keys).groupBy(*by).agg(F.sum(F.col("__n") * F.col("__m")).alias(out)))
-
-
-def join_all(tables: list, keys: list[str]):
-    """Inner SQL joins of several tables on the same keys, from left to right."""
-    return tables[0]._new(reduce(lambda a, b: a.join(b, keys), [t.df for t in tables]))

@@ -1,8 +1,9 @@
 """An immutable table: a DataFrame and, until rows are moved, a column that says which rows are valid.
 
 ``filter`` only narrows the validity, so an analysis can start again with
-``revalidate``.  Operators that move rows apply it first as a plain filter,
-which the optimiser pushes down to the scan.
+``revalidate``; projections carry it along.  Operators that move rows (joins,
+sorts, aggregates, windows) apply it first as a plain filter, which the optimiser
+pushes down to the scan.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.aggregates import aggregate_column
 from tessera.operators import joins, windows
 
-#: Holds the validity of rows that ``resize`` adds.
+#: Holds the validity of rows in projections, and of rows that ``resize`` adds.
 HIDDEN = "__valid"
 #: (aggregate name, input column or None) by output column.
 Spec = Mapping[str, tuple[str, str | None]]
@@ -100,27 +101,31 @@ class Table(joins.Joins, windows.Windows):
 
     # -- shaping --------------------------------------------------------------
 
+    def _project(self, change) -> Table:
+        """``change`` applied to all rows, invalid ones too, with their validity in a hidden column."""
+        if self._valid is None:
+            return self._new(change(self._base))
+        return self._new(change(self._base.withColumn(HIDDEN, self._valid)), F.col(HIDDEN))
+
     def select(self, *names: str) -> Table:
-        return self._new(self.df.select(*names))
+        return self._project(lambda df: df.select(*names, *([HIDDEN] if self._valid is not None else [])))
 
     def with_columns(self, **exprs: Column) -> Table:
-        if self._valid is None:
-            return self._new(self._base.withColumns(exprs))
-        return self._new(self.df.withColumns(exprs))
+        return self._project(lambda df: df.withColumns(exprs))
 
     def add_columns(self, *names: str) -> Table:
         """New columns of zeros."""
         if clash := set(names) & set(self.columns):
             raise ValueError(f"columns exist: {sorted(clash)}")
-        return self._new(self._base.withColumns({c: F.lit(0).cast("long") for c in names}), self._valid)
+        return self.with_columns(**{c: F.lit(0).cast("long") for c in names})
 
     def drop(self, *names: str) -> Table:
-        return self._new(self.df.drop(*names))
+        return self._project(lambda df: df.drop(*names))
 
     def rename(self, old: str, new: str) -> Table:
         if old not in self.columns or new in self.columns:
             raise ValueError(f"cannot rename {old} to {new}")
-        return self._new(self.df.withColumnRenamed(old, new))
+        return self._project(lambda df: df.withColumnRenamed(old, new))
 
     def zero(self, *names: str) -> Table:
         return self.with_columns(**{c: F.lit(0).cast(dict(self._base.dtypes)[c]) for c in names})
@@ -131,9 +136,15 @@ class Table(joins.Joins, windows.Windows):
     # -- order ----------------------------------------------------------------
 
     @staticmethod
-    def _order(spec: Iterable[tuple[str, str] | str]) -> list[Column]:
+    def _pairs(spec: Iterable[tuple[str, str] | str]) -> list[tuple[str, str]]:
+        """(column, ``asc`` or ``desc``) of each part of an order."""
         pairs = [(s, "asc") if isinstance(s, str) else s for s in spec]
-        return [F.desc(c) if d.lower().startswith("d") else F.asc(c) for c, d in pairs]
+        return [(c, "desc" if d.lower().startswith("d") else "asc") for c, d in pairs]
+
+    @classmethod
+    def _order(cls, spec: Iterable[tuple[str, str] | str], reverse: bool = False) -> list[Column]:
+        """Sort columns; nulls come first in ascending and last in descending order, so that the reverse is exact."""
+        return [F.desc(c) if (d == "desc") != reverse else F.asc(c) for c, d in cls._pairs(spec)]
 
     def sort(self, spec: Iterable[tuple[str, str] | str]) -> Table:
         """Sorted by (column, direction) pairs.  Rows that tie come in no fixed order: name a last key that differs."""
@@ -145,8 +156,7 @@ class Table(joins.Joins, windows.Windows):
 
     def tail(self, n: int, order: Iterable[tuple[str, str] | str]) -> Table:
         """The last ``n`` rows in an order."""
-        pairs = [(s, "asc") if isinstance(s, str) else s for s in order]
-        return self.head(n, [(c, "asc" if d.lower().startswith("d") else "desc") for c, d in pairs])
+        return self.head(n, [(c, "asc" if d == "desc" else "desc") for c, d in self._pairs(order)])
 
     def resize(self, n: int, order: Iterable[tuple[str, str] | str] | None = None) -> Table:
         """``n`` rows: the first ones, or all and as many rows of zeros as are missing, which are invalid."""

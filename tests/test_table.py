@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import AGGREGATES, register_aggregate
 from tessera.operators import DuplicateKeys, Table
-from tessera.operators import windows
 
 
 def rows(t, *columns):
@@ -193,8 +192,7 @@ def test_mark_distinct(make):
 
 
 @pytest.mark.parametrize("reverse", [False, True])
-def test_sums_over_ranges(make, monkeypatch, reverse):
-    monkeypatch.setattr(windows, "RANGE_ROWS", 10)
+def test_sums_over_ranges(make, reverse):
     rnd = random.Random(1)
     v = [rnd.randint(-99, 99) for _ in range(256)]
     t = make(i=list(range(256)), v=v)
@@ -204,6 +202,31 @@ def test_sums_over_ranges(make, monkeypatch, reverse):
     assert per == [sum(x for k, x in enumerate(v) if x == v[i] and (k >= i if reverse else k <= i)) for i in range(256)]
 
 
+def test_suffixes_are_prefixes_of_the_reverse(make):
+    rnd = random.Random(4)
+    g, v = [rnd.randint(0, 3) for _ in range(300)], [rnd.randint(-99, 99) for _ in range(300)]
+    out = make(g=g, i=list(range(300)), v=v).window_aggregate(["g"], {"s": ("sum", "v"), "m": ("max", "v"), "c": ("copy", "v")}, ["i"], "suffix")
+    rest = lambda k: [x for x, y in zip(v[k:], g[k:], strict=True) if y == g[k]]
+    assert [r[1:] for r in rows(out, "i", "s", "m", "c")] == [(sum(rest(k)), max(rest(k)), v[k]) for k in range(300)]
+
+
+def test_suffix_sums_are_not_quadratic(spark):
+    """400,000 rows in one group: as many squared would take hours."""
+    t = Table(spark.range(400_000).select(F.lit(0).alias("g"), "id", F.lit(1).alias("v")))
+    out = t.window_aggregate(["g"], {"s": ("sum", "v")}, ["id"], "suffix").df
+    assert out.where("s <> 400000 - id").count() == 0
+    assert t.prefix_sum("v", "id", "s", reverse=True).df.where("s <> 400000 - id").count() == 0
+
+
+def test_groups_with_null_keys(spark):
+    t = Table(spark.createDataFrame([(None, 1, 5), (None, 2, 6), (1, 3, None), (1, 4, 8)], "k long, i long, v long"))
+    key = lambda t, *c: sorted((tuple(r) for r in t.df.select(*c).collect()), key=str)
+    assert key(t.group_broadcast(["k"], {"s": ("sum", "v")}), "i", "s") == [(1, 11), (2, 11), (3, 8), (4, 8)]
+    assert key(t.first_value(["k"], "v", [("i", "desc")], "f"), "i", "f") == [(1, 6), (2, 6), (3, 8), (4, 8)]
+    assert key(t.first_value(["k"], "v", ["v"], "f"), "i", "f") == [(1, 5), (2, 5), (3, None), (4, None)]
+    assert key(t.first_value(["k"], "v", ["v", ("i", "desc")], "f"), "i", "f") == [(1, 5), (2, 5), (3, None), (4, None)]
+
+
 def test_running_max_is_sorted(make):
     rnd = random.Random(2)
     t = make(g=[0] * 256, i=list(range(256)), v=[rnd.randint(-999, 999) for _ in range(256)])
@@ -217,6 +240,23 @@ def test_row_slices(make):
     assert t.repeat(3).count() == 18 and t.repeat(0).count() == 0
 
 
+def test_places_among_many_uneven_rows(spark):
+    """A million rows over many ranges, those of small ids much wider."""
+    wide = F.when(F.col("id") < 50_000, F.repeat(F.lit("x"), 200)).otherwise(F.lit(""))
+    t = Table(spark.range(1_000_000, numPartitions=16).select(((F.col("id") * 7919) % 1_000_000).alias("id")).withColumn("wide", wide))
+    whole = t.row_slice(["id"])
+    assert whole.count() == 1_000_000 and whole.df.agg(F.sum("id")).first()[0] == 1_000_000 * 999_999 // 2
+    some = t.row_slice([("id", "desc")], 10, 900_000, 7).df
+    assert some.where("(999999 - id - 10) % 7 <> 0 or id > 999989 or id <= 99999").count() == 0
+    assert some.count() == len(range(10, 900_000, 7))
+
+
+def test_marks_over_ranges_of_the_whole_order(spark):
+    t = Table(spark.range(50_000, numPartitions=8).select("id", F.expr("id div 3").alias("k")))
+    out = t.mark_distinct(["k"], "m", ["id"]).df
+    assert out.where("m <> int(id % 3 = 0)").count() == 0 and out.count() == 50_000
+
+
 # -- shaping ------------------------------------------------------------------------
 
 
@@ -243,6 +283,30 @@ def test_validity(make):
     assert make(a=[1, 2]).filter(F.lit(None).cast("boolean")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda t: t.select("a", "b"),
+        lambda t: t.drop("c"),
+        lambda t: t.rename("c", "d"),
+        lambda t: t.with_columns(y=F.col("a") * 2),
+        lambda t: t.with_columns(a=F.col("a") * 1),
+        lambda t: t.add_columns("z"),
+        lambda t: t.zero("c"),
+        lambda t: t.copy_column("a", "e"),
+        lambda t: t.tumbling_window("a", 2, "w"),
+        lambda t: t.select("b", "a").rename("b", "x").with_columns(b=F.col("x")).drop("x"),
+    ],
+)
+def test_validity_outlives_projections(make, change):
+    t = change(make(a=[1, 2, 3, 4], b=[1, 1, 0, 0], c=[7, 7, 7, 7]).filter(F.col("a") > 2))
+    assert col(t, "a") == [3, 4] and col(t.revalidate(), "a") == [1, 2, 3, 4]
+    assert col(t.mask(-1), "a") == [-1, -1, 3, 4]
+    assert col(t.filter(F.col("b") == 0).filter(F.col("a") < 4), "a") == [3]
+    assert "__valid" not in t.columns and "__valid" not in t.df.columns and "__valid" not in t.revalidate().df.columns
+    assert len(t.open(remove_invalid=False)[0][0]) == 4
+
+
 def test_sets_and_sort(make):
     a, b = make(k=[1, 2, 2, 3]), make(k=[2, 4])
     assert (col(a.union(b), "k"), col(a.intersect(b), "k"), col(a.subtract(b), "k")) == ([1, 2, 3, 4], [2], [1, 3])
