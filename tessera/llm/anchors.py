@@ -55,11 +55,15 @@ def sliding_min(values: np.ndarray, window: int) -> np.ndarray:
 
 
 def owners(hasher: Hasher, n: int, gram: int, window: int) -> np.ndarray:
-    """For each string of ``gram + window - 1`` bytes of a text of ``n``, by its start: the sampled place inside."""
+    """For each string of ``gram + window - 1`` bytes of a text of ``n`` (under 16 million), by its start: the sampled place inside.
+
+    Hashes are compared by their upper 40 bits, whatever the text's length, so
+    that equal strings decide alike in all texts.
+    """
     if n < gram + window - 1:
         return np.zeros(0, np.int64)
     at = np.arange(n - gram + 1)
     h = hasher.slices(at, at + gram)
-    bits = np.uint64(max(1, int(n).bit_length()))
+    bits = np.uint64(24)
     low = sliding_min(h >> bits << bits | at.astype(np.uint64), window)
     return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)

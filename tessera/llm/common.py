@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import checkpointed, shared_dir
+
+__all__ = ["checkpointed", "fold", "hash_sample", "sample_rate", "shared_dir", "table", "whole_groups"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Columns of one table; all of them if none is named."""
@@ -15,27 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine), a temporary folder is
-    made once and set as Spark's checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, with its lineage cut."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``: the held-out split of the labelled operators.
 
@@ -58,6 +42,21 @@ def hash_sample(df: DataFrame, key: str, rate: float, seed: int = 7) -> DataFram
     return df.where(unit < rate)
 
 
-def texts_of(column) -> Iterable[str]:
-    """Python strings of an Arrow column, null as the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """Columns of rows whose equal first values (numbers) stand together, in parts of whole groups, and the places where groups begin.
+
+    At most a batch and one group are held.
+    """
+    held: pa.RecordBatch | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        both = b if held is None else pa.concat_batches([held, b])
+        value = both.column(0).to_numpy()
+        other = np.flatnonzero(value != value[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            yield both.slice(0, last).columns, np.flatnonzero(np.r_[True, value[1:last] != value[: last - 1]])
+        held = both.slice(last)
+    if held is not None:
+        yield held.columns, np.zeros(1, np.int64)

@@ -49,11 +49,24 @@ def rows_of(df):
     return sorted((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), sha256(r.kept).hexdigest()) for r in df.collect())
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "sizes"), [(0, sd.Sizes()), (1, sd.Sizes(50, 200, 300)), (2, sd.Sizes(7, 10, 64)), (3, sd.Sizes(1000, 100_000, 200))])
+def test_equals_brute_force(spark, seed, sizes):
+    """Small sizes: many batches and levels, families that are passed on within a task, texts of several segments."""
     rows = planted(seed)
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(5)
-    assert rows_of(sd.remove_repeats(df)) == sorted(brute(rows))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, doc int").repartition(3)
+    assert rows_of(sd.remove_repeats(df, extra=("doc",), sizes=sizes)) == sorted(brute(rows))
+
+
+def test_a_passage_in_most_documents(spark):
+    """One frequent passage with different surroundings, and documents that are one long repetition."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(6))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    passage = prose(60)
+    rows = [(i, f"{prose(rnd.randint(5, 40))} {passage[rnd.randint(0, 60) :]} {prose(rnd.randint(5, 40))}") for i in range(120)]
+    rows += [(200 + i, "ab " * (100 + i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(sd.remove_repeats(df, sizes=sd.Sizes(500, 2000))) == sorted(brute(rows))
 
 
 def test_op10_on_the_table(spark, sf_dir):
@@ -72,16 +85,17 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
-def test_family_counts_each_key():
-    rng, family, seen, settled = np.random.default_rng(1), sd.Family(), Counter(), 0
+def test_family_is_a_suffix_array_of_levels():
+    rng, family, seen, settled = np.random.default_rng(1), sd.Family(3), Counter(), 0
     for _ in range(40):
-        g = rng.integers(0, 60, 50).astype(np.uint64)
-        x = rng.integers(0, 3, 50).astype(np.uint32)
-        settled += len(family.add(sd.Family.keys(g, x), np.ones(50, np.int64), np.arange(50)))
-        seen.update(zip(g.tolist(), x.tolist(), strict=True))
+        x = rng.integers(97, 101, (50, 3)).astype(np.uint8).view("S3").ravel()
+        settled += len(family.add(x, np.arange(50)))
+        seen.update(x.tolist())
         sizes = [len(k) for k, _, _ in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+        assert all((k[1:] > k[:-1]).all() for k, _, _ in family.levels)
     keys, n, _ = family.whole()
-    pairs = keys.view([("g", ">u8"), ("x", ">u4")])
-    assert dict(zip(zip(pairs["g"].tolist(), pairs["x"].tolist(), strict=True), n.tolist(), strict=True)) == seen
+    assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == seen and keys.tolist() == sorted(seen)
     assert settled + len(keys) == 2000
+    lone = np.array([b"aaa", b"aab", b"abc", b"bbb", b"bbc"])
+    assert sd.sharing(lone, 2).tolist() == [True, True, False, True, True] and sd.sharing(lone[:0], 2).tolist() == []
