@@ -8,6 +8,7 @@ from collections import Counter
 from hashlib import sha1
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.llm import quality_rules, wacz
@@ -60,6 +61,46 @@ def test_estimate_recovers_accuracies():
     assert quality_rules.estimate({}) == (0.8, [])
 
 
+def brute_votes(text):
+    text = text or ""
+    n, chars, symbols, dup, repeat = brute(text)
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    upper, ends = sum(c in quality_rules.UPPER for c in text), sum(c in ".!?" for c in text)
+    vote = lambda bad, good: -1 if bad else 1 if good else 0
+    case, variety = upper / chars, len(set(words)) / n
+    return (
+        vote(symbols / n > 0.1, symbols / n < 0.02),
+        vote(not 4.2 <= chars / n <= 6.8, 4.5 < chars / n < 6.2),
+        vote(variety < 0.55 and n < 2000, variety > 0.68),
+        vote(case < 0.012 or case > 0.35, 0.013 < case < 0.15),
+        vote(repeat / n > 0.2, repeat / n < 0.03),
+        vote(dup >= 2 and dup / len(lines) > 0.15, dup == 0),
+        vote(not 0.03 <= ends / n <= 0.3, 0.05 < ends / n < 0.15),
+    )
+
+
+def test_kept_equals_a_brute_force_estimate(spark):
+    """Votes and expectation-maximisation by rows instead of patterns; no estimate sits on a bound, and bad votes are overruled."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    votes = {}
+    for i, t in docs.items():
+        n, *_, repeat = brute(t)
+        if n >= 50 and 100 * repeat <= 50 * n:
+            votes[i] = brute_votes(t)
+    v = np.array(list(votes.values()))
+    prior, right = 0.8, np.full((7, 2), 0.8)
+    for _ in range(500):
+        odds = np.log(prior / (1 - prior)) + ((v > 0) * np.log(right[:, 1] / (1 - right[:, 0])) + (v < 0) * np.log((1 - right[:, 1]) / right[:, 0])).sum(1)
+        p = 1 / (1 + np.exp(-odds))
+        good, bad = p[:, None], 1 - p[:, None]
+        right = np.stack([((v < 0) * bad).sum(0) + 1, ((v > 0) * good).sum(0) + 1], 1) / np.stack([((v != 0) * bad).sum(0) + 2, ((v != 0) * good).sum(0) + 2], 1)
+        prior = (p.sum() + 1) / (len(p) + 2)
+    want = {i for i, x in zip(votes, p, strict=True) if x >= 0.5}
+    got = op3_quality_rules(spark, "/root/testdata/sf0.01").collect()
+    assert {r.doc_id for r in got if r.kept} == want
+    assert sum((np.array(votes[i]) < 0).any() for i in want) > 20 and len(want) < len(votes)
+
+
 def test_rules_on_empty_tables_and_repeats(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     assert [r.kept for r in quality_rules.score(df).collect()] == [False] * 3
