@@ -13,11 +13,14 @@ make that exact:
   computes it from the merges alone (see there).  Tokens that end so far before
   the end of the window are stable and leave the transducer at once.
 
-Within a window the merges run over all pieces of a batch together, as array
-operations: each round applies, in every piece, its merge of lowest rank.
-
-Decoding maps ids to bytes and bytes to text with an incremental UTF-8 decoder,
-which holds at most three bytes between chunks.
+A batch of texts is one such stream.  It goes through windows of a fixed size; a
+text that reaches beyond its window is cut where tokens are stable, its tokens so
+far leave, and the rest goes on into the next window.  Within a window the merges
+run over all pieces together, as array operations: each round applies, in every
+piece, its merge of lowest rank.
+
+Decoding maps ids to bytes and bytes to text with an incremental UTF-8 machine,
+a bounded number of ids at a time; it holds at most three bytes in between.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Unicode White_Space, which is narrower than Python's ``\s``.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NONE = np.int32(2**31 - 1)
+#: Bytes of a window that is encoded together, and ids that are decoded together.
+WINDOW, IDS = 4_000_000, 100_000
 
 #: Classes of bytes within a word; 0: left to the pattern.
 LETTER, DIGIT, MARK, SPACE, FEED = 1, 2, 3, 4, 5
@@ -267,8 +272,39 @@ class Transducer:
             per_word[which] = [len(x) for x in found]
         return ids, per_word
 
-    def encode_arrow(self, texts: pa.Array) -> pa.ListArray:
-        """Ids of each text.  Words that recur in the array are merged once."""
+    def windows(self, texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array | Iterator[np.ndarray]]]:
+        """(first text, texts) of windows of at most ``size`` bytes; for a longer text (its number, its stable tokens as they leave)."""
+        start = held = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if held + n > size:
+                if i > start:
+                    yield start, texts.slice(start, i - start)
+                start, held = i, 0
+            if n > size:
+                text = texts[i].as_py()
+                yield i, self.stream(text[k : k + size] for k in range(0, len(text), size))
+                start, held = i + 1, 0
+            else:
+                held += n
+        if start < len(texts):
+            yield start, texts.slice(start)
+
+    def encode_arrow(self, texts: pa.Array, window: int | None = None) -> pa.ListArray:
+        """Ids of each text, through windows of a fixed size; beside the ids that have left, one window is held."""
+        ids, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        for i, part in self.windows(texts, window or WINDOW):
+            if isinstance(part, pa.Array):
+                found = self._window(part)
+                ids.append(found.values.to_numpy())
+                counts[i : i + len(part)] = np.diff(found.offsets.to_numpy())
+            else:
+                for stable in part:
+                    ids.append(stable)
+                    counts[i] += len(stable)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(np.concatenate(ids).astype(np.int32, copy=False)))
+
+    def _window(self, texts: pa.Array) -> pa.ListArray:
+        """Ids of each text of one window.  Words that recur in it are merged once."""
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         n = len(texts)
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -306,9 +342,12 @@ class Transducer:
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_arrow(pa.array([text], pa.large_string()))[0].as_py()
+        return self._whole(text).tolist()
+
+    def _whole(self, text: str) -> np.ndarray:
+        return self._window(pa.array([text], pa.large_string())).values.to_numpy()
 
-    def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
+    def stream(self, chunks: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of a text that arrives in chunks, in memory that does not grow with it.
 
         The transducer holds back the text after the last free cut.  Where there
@@ -321,23 +360,23 @@ class Transducer:
             if self.mark:
                 *parts, held = self.mark.split(held)
                 for s in parts:
-                    yield self.encode(s)
+                    yield self._whole(s)
             end = len(held) - hold
             cut = next((i for i in range(end - 1, 0, -1) if held[i] == " " and not re.match(WHITE, held[i + 1]) and not re.match(WHITE, held[i - 1])), 0)
             if cut:
-                yield self.encode(held[:cut])
+                yield self._whole(held[:cut])
                 held = held[cut:]
             elif end > self.window:
                 yield from self._spaceless(held[:end])
                 held = self._left + held[end:]
         if held:
-            yield self.encode(held)
+            yield self._whole(held)
 
-    def _spaceless(self, text: str) -> Iterator[list[int]]:
+    def _spaceless(self, text: str) -> Iterator[np.ndarray]:
         """All of a text without free cuts but its last two pieces; of a single long piece all stable tokens."""
         found = self.pattern.findall(text)
         if len(found) > 2:
-            yield np.concatenate(self._pieces(found[:-2])).tolist()
+            yield np.concatenate(self._pieces(found[:-2]))
             self._left = "".join(found[-2:])
             text = self._left
             found = found[-2:]
@@ -350,7 +389,7 @@ class Transducer:
             while n and (raw[ends[n - 1] : ends[n - 1] + 1] or b"a")[0] & 0xC0 == 0x80:
                 n -= 1  # the rest must be text, so the cut is between characters
             if n and not re.match(WHITE, found[0][0]) or n and re.fullmatch(WHITE + "+", found[0]):
-                yield ids[:n].tolist()
+                yield ids[:n]
                 self._left = raw[ends[n - 1] :].decode("utf-8", "surrogatepass") + found[0][-1]
 
     def decode_stream(self, ids: Iterable[Iterable[int]]) -> Iterator[str]:
@@ -363,8 +402,9 @@ class Transducer:
         if text := machine.decode(b"", final=True):
             yield text
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decode_stream([ids]))
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.asarray(ids, np.int64)
+        return "".join(self.decode_stream(ids[k : k + IDS].tolist() for k in range(0, len(ids), IDS)))
 
 
 @lru_cache(maxsize=4)
@@ -373,7 +413,7 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-#: Bytes of text that are encoded together; bounds the memory of a worker.
+#: Bytes of texts whose ids leave as one batch of rows.
 BLOCK = 16_000_000
 
 
@@ -425,7 +465,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
             for i, n in blocks(b.column(1)):
                 ids = t.encode_arrow(b.column(1).slice(i, n))
                 at, flat = ids.offsets.to_pylist(), ids.values.to_numpy()
-                back = [t.decode(flat[j:k].tolist()) for j, k in zip(at, at[1:], strict=False)]
+                back = [t.decode(flat[j:k]) for j, k in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), ids, pa.array(back, pa.string())], [key, "ids", "decoded"])
 
     return df.select(key, text).mapInArrow(step, f"`{key}` {dict(df.dtypes)[key]}, ids array<int>, decoded string")

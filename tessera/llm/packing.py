@@ -18,8 +18,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.bpe import blocks, transducer
 
@@ -167,20 +167,22 @@ class Packer:
 COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _packed(batches: Iterable[tuple[pa.Array, pa.ListArray]], size: int, last: int | None, key: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    packer = Packer(size, TaskContext.get().partitionId() * PER_PARTITION)
+def _packed(batches: Iterable[tuple[int, pa.Array, pa.ListArray]], size: int, last: int | None, key: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Batches (number of the partition, keys, ids).  The number comes with the rows, as one task may run several partitions."""
+    packer: Packer | None = None
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         keys, *rest = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(keys, kind), *[pa.array(c, pa.int64()) for c in rest]], [key, *COLUMNS])
 
-    for keys, lists in batches:
+    for number, keys, lists in batches:
+        packer = packer or Packer(size, number * PER_PARTITION)
         at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
         end = np.array([last] if last is not None else [], "<u4")
         for k, i, j in zip(keys.to_pylist(), at[:-1], at[1:], strict=True):
             if rows := list(packer.add(k, np.concatenate([flat[i:j], end]))):
                 yield out(rows)
-    if rows := list(packer.flush(True)):
+    if packer and (rows := list(packer.flush(True))):
         yield out(rows)
 
 
@@ -193,16 +195,16 @@ def pack(df: DataFrame, ids: str = "ids", key: str = "doc_id", size: int = 2048,
 
     Null ids count as none.  Each row is packed on its own, so repeated rows give
     repeated pieces.  A row without a token (``last`` None, no ids) gives no piece.
-    Sequence ids are unique; which rows share a sequence follows the partitions.
+    Sequence ids are unique, also where ``coalesce`` joins partitions in a task; which rows share a sequence follows the partitions.
     """
 
     def step(batches):
-        yield from _packed(((b.column(0), _whole(b.column(1))) for b in batches), size, last, key, kind)
+        yield from _packed(((b.column(2)[0].as_py(), b.column(0), _whole(b.column(1))) for b in batches if b.num_rows), size, last, key, kind)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(df.schema[key].dataType)
-    return df.select(key, ids).mapInArrow(step, _schema(df, key))
+    return df.select(key, ids, F.spark_partition_id()).mapInArrow(step, _schema(df, key))
 
 
 def pack_texts(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", size: int = 2048, last: int | None = 1) -> DataFrame:
@@ -212,7 +214,7 @@ def pack_texts(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
         t = transducer(path)
         for b in batches:
             for i, n in blocks(b.column(1)):
-                yield b.column(0).slice(i, n), t.encode_arrow(b.column(1).slice(i, n))
+                yield b.column(2)[i].as_py(), b.column(0).slice(i, n), t.encode_arrow(b.column(1).slice(i, n))
 
     def step(batches):
         yield from _packed(encoded(batches), size, last, key, kind)
@@ -220,7 +222,7 @@ def pack_texts(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(df.schema[key].dataType)
-    return df.select(key, text).mapInArrow(step, _schema(df, key))
+    return df.select(key, text, F.spark_partition_id()).mapInArrow(step, _schema(df, key))
 
 
 def _whole(lists: pa.Array) -> pa.ListArray:

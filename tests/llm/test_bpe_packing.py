@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from hashlib import sha256
 
@@ -46,6 +47,34 @@ def test_stream_gives_the_same_ids_from_any_chunks(ours, theirs):
         assert [i for x in ours.stream(chunks) for i in x] == theirs.encode(s, add_special_tokens=False).ids
 
 
+def test_windows_give_the_same_ids(ours, theirs):
+    rnd = random.Random(6)
+    some = [None, "", *texts(60, 5), " ".join(texts(300, 7)), "", "x" * 9000, " ".join(rnd.choice(["the", "onset", "of", "é日本"]) for _ in range(3000))]
+    want = [e.ids for e in theirs.encode_batch([t or "" for t in some], add_special_tokens=False)]
+    for window in (150, 1000, 20_000):
+        assert ours.encode_arrow(pa.array(some), window).to_pylist() == want
+
+
+def test_memory_does_not_grow_with_the_text(ours):
+    """Peak of encoding and decoding a text that comes in chunks, at 3 MB and at 24 MB."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
+
+    def chunks(megabytes):
+        for _ in range(4 * megabytes):
+            yield "".join(" " + rnd.choice(words) for _ in range(38_000))
+
+    def peak(megabytes):
+        tracemalloc.start()
+        n = sum(len(x) for x in ours.decode_stream(ids.tolist() for ids in ours.stream(chunks(megabytes))))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, top
+
+    (small, first), (large, second) = peak(3), peak(24)
+    assert large > 7 * small and second < 1.2 * first < 200_000_000
+
+
 def test_endless_words_stream_through_a_small_window(ours, theirs):
     rnd, window = random.Random(4), ours.window
     ours.window = 2 * ours.lookahead + 10
@@ -140,6 +169,16 @@ def test_packing_in_small_blocks(spark, monkeypatch, seed):
     assert check_packing([piece(*r) for r in out], {k: np.array([*ids, 1]) for k, ids in data}, 32) == 0
 
 
+def test_sequences_stay_apart_when_partitions_are_joined(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, rng.integers(0, 9, 500).tolist()) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, ids array<int>").repartition(4)
+    pieces = packing.pack(df).coalesce(1).collect()
+    assert check_packing(pieces, {k: np.array([*ids, 1]) for k, ids in data}) == 0
+    clash = spark.createDataFrame([(1, "a b", 2, 3)], "doc_id long, text string, start int, length int")
+    assert [r.length for r in packing.pack_texts(clash, tokenizer_path()).collect()] == [2, 1]
+
+
 def test_capacity_tree_finds_the_tightest():
     rnd, tree, have = random.Random(5), packing.CapacityTree(64), []
     for w in range(500):
