@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,14 @@ TEXTS, CHARS = 256, 2_000_000
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=4096)
+def letter_vector(code: int) -> np.ndarray:
+    """The vector of a code point; it depends on the code point only."""
+    return np.random.Generator(np.random.PCG64(code + 1)).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1
+
+
 def letter_vectors(codes: np.ndarray) -> np.ndarray:
-    """The vector of each code point; it depends on the code point only."""
-    return np.array([np.random.Generator(np.random.PCG64(int(c) + 1)).integers(0, 2, DIMENSIONS, np.int8) * 2 - 1 for c in codes], np.int8).reshape(-1, DIMENSIONS)
+    return np.array([letter_vector(c) for c in codes.tolist()], np.int8).reshape(-1, DIMENSIONS)
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +44,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     gap = codes == 0
     doc = np.cumsum(gap)
-    letter = letters()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    letter = letters()[codes]
     codes[~letter] = 32
     keep = ~gap & (letter | np.r_[True, letter[:-1]] | np.r_[True, gap[:-1]])
     codes, doc, letter = codes[keep], doc[keep], letter[keep]

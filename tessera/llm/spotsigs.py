@@ -3,7 +3,8 @@
 A common word (an anchor) and the content words that follow it, anchors left
 out, make a signature.  A document's fingerprint is the set of its signatures:
 boilerplate without running prose has few anchors and so weighs little.  Sets
-are compared by Jaccard similarity, and only where their sizes allow it.
+are compared by Jaccard similarity; in the join of a whole table only sets in the
+same or neighbouring partitions by length that share a rare signature.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ ANCHORS = (
 ).split()
 #: Content words in a chain.
 CHAIN = 2
-#: Rows in a range of ids that is ordered together, about, and the most ranges.
+#: Rows in a range of ids that is ordered together, about, and the most ranges: their bounds are part of the plan, so beyond
+#: ten million rows the ranges grow, and Spark's sort, which spills, orders more rows in each.
 RANGE_ROWS, RANGES = 1_000, 10_000
 
 
 def signatures(words: Column, anchors: Column, content: Column, text: Column) -> Column:
-    """The sorted distinct 64-bit signatures of a text, from columns that hold its words.
+    """The sorted distinct signatures of a text, from columns that hold its words: 32-bit hashes, as the fingerprint shows them.
 
     The content words before the anchor number j, which is word number i, are
     i - j; so its chain is read off ``content`` by position.  A text without any
@@ -40,7 +42,7 @@ def signatures(words: Column, anchors: Column, content: Column, text: Column) ->
     plain = F.transform(words, lambda w, i: F.xxhash64(F.lit(""), w, F.get(words, i + 1)))
     whole = F.when(text != "", F.array(F.xxhash64(F.lit("\n"), text))).otherwise(F.array().cast("array<bigint>"))
     found = F.when(F.size(spots) > 0, spots).when(F.size(words) > 0, plain).otherwise(whole)
-    return F.sort_array(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda h: F.shiftrightunsigned(h, 32))))
 
 
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -58,8 +60,8 @@ def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def fingerprint(found: Column | str) -> Column:
-    """The set as text: the upper 32 bits of each signature in hexadecimal."""
-    return F.array_join(F.transform(found, lambda h: F.lower(F.lpad(F.hex(F.shiftrightunsigned(h, 32)), 8, "0"))), " ")
+    """The set as text: each signature in hexadecimal."""
+    return F.array_join(F.transform(found, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), " ")
 
 
 def length_partition(found: Column | str, threshold: float = 0.8) -> Column:
@@ -82,6 +84,37 @@ def likeness(a: str, b: str, least: float = 0.0) -> Column:
     )
 
 
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(membership (key, class_id), links (a, b, likeness)) of texts whose fingerprints are at least ``threshold`` alike.
+
+    Rows with equal fingerprints are one class, named by a hash of the fingerprint;
+    links are between classes, a < b.  Classes are compared if they share one of
+    the signatures that a set must share with any set so like it: its rarest ones,
+    as many as it may lack and one more.  They are dealt out by signature and
+    length partition, each class to its own and the next partition, so only sets
+    of sizes that allow the threshold meet; the sizes themselves and the Jaccard
+    similarity decide.  Null and empty texts have no signature and no class; an
+    empty table gives no rows.
+    """
+    marked = with_signatures(df.select(F.col(key), F.col(text).alias("__text")), "__text", "found").where(F.size("found") > 0)
+    rows = marked.select(F.col(key), F.xxhash64("found").alias("class_id"), "found")
+    classes = rows.groupBy("class_id").agg(F.first("found").alias("found"))
+    single = classes.select("class_id", F.explode("found").alias("s"))
+    ranked = single.join(single.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s").groupBy("class_id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("ranked"))
+    size = F.size("ranked")
+    must = (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int")
+    held = ranked.select("class_id", size.alias("size"), F.explode(F.slice("ranked", F.lit(1), must)["s"]).alias("s"), length_partition("ranked", threshold).alias("part"))
+    own = held.select("class_id", "size", "s", "part")
+    both = held.withColumn("part", F.explode(F.array(F.col("part"), F.col("part") + 1)))
+    a, b = own.alias("a"), both.alias("b")
+    larger = (F.col("a.size") > F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.class_id") > F.col("b.class_id")))
+    meet = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.part") == F.col("b.part")) & larger & (F.col("b.size") >= threshold * F.col("a.size") - 1e-9))
+    pairs = meet.select(F.least("a.class_id", "b.class_id").alias("a"), F.greatest("a.class_id", "b.class_id").alias("b")).distinct()
+    sets = lambda name, to: classes.select(F.col("class_id").alias(name), F.col("found").alias(to))
+    near = pairs.join(sets("a", "x"), "a").join(sets("b", "y"), "b").select("a", "b", likeness("x", "y", threshold).alias("likeness"))
+    return rows.select(key, "class_id"), near.where(F.col("likeness") >= threshold - 1e-12)
+
+
 def id_ranges(df: DataFrame, key: str) -> tuple[Column, list]:
     """(number of the range of ids that a row lies in, largest id of each range).
 
@@ -94,7 +127,7 @@ def id_ranges(df: DataFrame, key: str) -> tuple[Column, list]:
     bounds = []
     if ranges > 1:
         cuts = [k / ranges for k in range(1, ranges)]
-        bounds = sorted(set(df.agg(F.percentile_approx(key, cuts, 100 * ranges).alias("b")).first().b or []))
+        bounds = sorted(set(df.agg(F.percentile_approx(key, cuts, 4 * ranges).alias("b")).first().b or []))
     step = max(1, int(len(bounds) ** 0.5))
     outer = bounds[::step][1:]
     inner = [bounds[i : i + step] for i in range(0, len(bounds), step)] or [[]]

@@ -3,7 +3,7 @@
 Each n-gram's log-count ratio between toxic and other texts scales its feature
 before a logistic regression is fitted (presence of the n-gram times the ratio).
 N-grams are hashed into a fixed number of buckets; only buckets whose ratio is
-far from chance enter the model, so common n-grams add no noise to long texts.
+not near chance enter the model, so common n-grams add no noise to long texts.
 """
 
 from __future__ import annotations
@@ -20,20 +20,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm.quality_ranking import labelled
 
-#: Labelled rows that the model is learned from, about (by hash of the id).
-TRAIN_ROWS = 30_000
+#: Labelled rows that the model is learned from, about (by hash of the id): the driver gets the buckets of so many texts.
+TRAIN_ROWS = 8_000
 LENGTHS = (4, 5, 6)
 BITS = 22
-#: Buckets of the model, at most, and how many standard errors their ratio must be from 0.
-FEATURES, ERRORS = 20_000, 5.0
+#: How many standard errors a bucket's ratio must be from 0: an n-gram of three toxic texts out of a tenth, and of no other, is.
+ERRORS = 3.0
 #: Characters that are looked at together.
 BLOCK = 2_000_000
 
 
 @lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """1 for code points that are letters; beyond the first plane all count as letters."""
-    return np.array([chr(c).isalpha() for c in range(0x10000)])
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -42,7 +42,7 @@ def hashed(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     gap = codes == 0
     doc = np.cumsum(gap, dtype=np.int32)
-    codes = np.where(letters()[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF), codes, np.uint32(32))
+    codes = np.where(letters()[codes], codes, np.uint32(32))
     h = codes.copy()
     for n in range(2, max(LENGTHS) + 1):
         if len(codes) < n:
@@ -123,8 +123,9 @@ def logistic(sizes: np.ndarray, column: np.ndarray, scale: np.ndarray, y: np.nda
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, text: str = "text", key: str = "doc_id") -> Classifier:
     """The classifier learned from about ``rows`` of ``labels`` (key, label).
 
-    Counts by bucket are aggregated on the executors.  The driver gets at most
-    ``FEATURES`` buckets, and of each training text the chosen buckets it has.
+    Counts by bucket are aggregated on the executors.  The driver gets the buckets
+    of the model, at most all 2 ** ``BITS``, and of each training text those that
+    it has; both are bounded by ``rows``, not by the table.
     Without labels of both classes the model says the share of toxic labels for
     every text.
     """
@@ -148,14 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     ones, rest = F.col("ones"), F.col("all") - F.col("ones")
     ratio = F.log((1 + ones) / F.lit(n1 + 2)) - F.log((1 + rest) / F.lit(n - n1 + 2))
     chosen = (
-        train.repartition(12)
-        .mapInArrow(count, "bucket long, ones long, all long")
+        train.mapInArrow(count, "bucket long, ones long, all long")
         .groupBy("bucket")
         .agg(F.sum("ones").alias("ones"), F.sum("all").alias("all"))
         .select("bucket", ratio.alias("ratio"), (F.abs(ratio) / F.sqrt(1 / (1 + ones) + 1 / (1 + rest))).alias("errors"))
         .where(F.col("errors") > ERRORS)
-        .orderBy(F.desc("errors"), "bucket")
-        .limit(FEATURES)
         .collect()
     )
     chosen.sort(key=lambda r: r.bucket)

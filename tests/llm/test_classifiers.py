@@ -82,3 +82,34 @@ def test_present_counts_each_bucket_once(wanted):
     doc, bucket = toxicity.present(["abcabcabc", "", "abca"], mask)
     assert len(set(zip(doc.tolist(), bucket.tolist(), strict=True))) == len(doc)
     assert set(bucket[doc == 2]) <= set(bucket[doc == 0]) and not (doc == 1).any()
+
+
+def test_texts_without_letters_at_any_code_point(spark):
+    """Symbols and emoji beyond the first plane are no letters; letters there are."""
+    df = spark.createDataFrame([(1, "the cat", "en", 1), (2, "\U0001f600\U0001f680 \U0001f4a9", None, 2), (3, "\U00020000\U00020001", None, 3), (4, "\u2603 \u20ac 12", None, 4)], "doc_id long, text string, lang string, score int")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df, language.fit(df)).collect()}
+    assert got[2] == got[4] == ("und", 0.0) and got[1][0] == got[3][0] == "en"
+    assert language.predict(df.limit(0), language.fit(df)).count() == 0
+    assert toxicity.score(df.limit(0), toxicity.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, y int"), "y")).count() == 0
+
+
+def test_a_batch_of_long_texts(spark):
+    """Twelve texts of half a million characters beside short ones."""
+    rows = [(i, "the cat and the dog " * 25_000, "en") for i in range(12)] + [(50, "der hund", "de"), (51, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, y int")
+    assert {r.lang_pred for r in language.predict(df, language.fit(df)).collect() if r.doc_id < 12} == {"en"}
+    assert toxicity.score(df, toxicity.fit(df, labels, "y")).count() == quality_ranking.score(df, quality_ranking.fit(df, labels, "y")).count() == 14
+
+
+def test_rare_toxic_wording_has_weight(spark):
+    """A word in four toxic texts of a tenth, and in no other."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("aeioutnrs"), 5))
+    clean = [" ".join(word() for _ in range(30)) for _ in range(400)]
+    rows = [(i, t, int(i % 10 == 0)) for i, t in enumerate(clean)]
+    rows = [(i, t + (" zwqxk" if y and i < 40 else " vbhjp" if y else ""), y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    model = toxicity.fit(df, df.select("doc_id", "y"), "y")
+    seen = toxicity.score(spark.createDataFrame([(1, clean[1] + " zwqxk zwqxk"), (2, clean[1])], "doc_id long, text string"), model).collect()
+    assert seen[0].score > 2 * seen[1].score

@@ -71,3 +71,35 @@ def test_length_partitions_hold_similar_sets(spark):
     df = spark.range(1, 300).selectExpr("sequence(1, id) as a", "sequence(1, cast(ceil(id * 0.8) as bigint)) as b")
     r = df.select(spotsigs.length_partition("a").alias("x"), spotsigs.length_partition("b").alias("y")).collect()
     assert all(0 <= t.x - t.y <= 1 for t in r)
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("bcdfgh") for _ in range(4))
+    docs = [" ".join(f"{rnd.choice(['the', 'of', 'and'])} {word()} {word()}" for _ in range(rnd.randint(3, 25))) for _ in range(60)]
+    for _ in range(120):
+        t = rnd.choice(docs).split(" ")
+        for _ in range(rnd.randint(0, 3)):
+            t[rnd.randrange(len(t))] = rnd.choice([word(), "the"])
+        docs.append(" ".join(t))
+    rows = [(i, t, 0) for i, t in enumerate([*docs, None, "", docs[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found int")
+    for threshold in (0.8, 0.6):
+        member, links = spotsigs.near_duplicates(df, threshold=threshold)
+        of = {r.doc_id: r.class_id for r in member.collect()}
+        linked = {(r.a, r.b) for r in links.collect()}
+        assert all(a < b for a, b in linked)
+        sets = {i: spots(t) for i, t, _ in rows if t}
+        assert set(of) == set(sets)
+        for i in sets:
+            for j in sets:
+                if i < j:
+                    a, b = sorted((of[i], of[j]))
+                    assert ((a, b) in linked or a == b) == (jaccard(sets[i], sets[j]) >= threshold - 1e-12)
+    assert spotsigs.near_duplicates(df.limit(0))[1].count() == 0
+
+
+def test_equal_fingerprints_are_wholly_alike(spark, sf_dir):
+    for r in op6_spotsigs(spark, sf_dir).collect():
+        x, y = set(r.fingerprint.split()), set(r.edited_fingerprint.split())
+        assert r.near_edited == pytest.approx(jaccard(x, y))
