@@ -22,8 +22,8 @@ from tessera.llm.common import fold, hash_sample, sample_rate
 
 #: Labelled rows that the weights are learned from, about (by hash of the id).
 TRAIN_ROWS = 20_000
-#: Preference pairs, at most; each bad document is set against good ones in turn.
-PAIRS = 60_000
+#: Preference pairs for each bad document, which is set against good ones in turn; every good document is in one at least.
+PAIRS = 10
 FIGURES = [
     "words", "word_length", "symbols", "upper", "digits", "exclaims", "bars", "variety", "top_word", "repeats",
     "line_repeats", "ends", "ends_many", "long_words", "short_text", "runs", "spaces", "all_caps", "marks_inside", "lines",
@@ -105,7 +105,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, threshold: float, ridge: float = 1e-
         return Ranking(mean, scale, w, 1e-9 if len(bad) else 0.0, threshold)
     z = (x - mean) / scale
     rng = np.random.default_rng(seed)
-    n = min(PAIRS, 20 * len(bad) + len(good))
+    n = PAIRS * len(bad) + len(good)
     d = z[rng.permutation(np.resize(good, n))] - z[np.resize(bad, n)]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # of losing

@@ -2,8 +2,8 @@
 
 A package is a ZIP file whose members are stored, not compressed:
 ``archive/data.warc.gz`` with one gzip member for each record, and
-``indexes/index.cdxj`` with a line for each record that gives its offset and
-length in the archive.  The reader parses the end of the central directory (and
+``indexes/index.cdxj`` with a sorted line for each record: its URL as a sort key,
+its time, and as JSON its offset and length in the archive.  The reader parses the end of the central directory (and
 its ZIP64 form), the central directory and the local header of a member; it then
 reads the index and fetches each record as a byte range of the package.
 
@@ -156,10 +156,19 @@ def parse_record(raw: bytes) -> dict:
     }
 
 
+def sort_key(url: str) -> str:
+    """A URL with its host's labels reversed, as index lines begin: ``com,example)/path``; without white space, as that ends the key."""
+    scheme, sep, rest = url.partition("://")
+    host, slash, path = (rest if sep else "").partition("/")
+    name = host.rpartition("@")[2].partition(":")[0].lower()
+    return "".join((",".join(reversed(name.split("."))) + f")/{path}" if name else url or "-").split())
+
+
 class PackageWriter:
     """Writes one package; records go straight to the file, only the index is held."""
 
-    def __init__(self, sink):
+    def __init__(self, sink, date: str):
+        self.time = "".join(filter(str.isdigit, date))[:14]
         self.zip = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED, allowZip64=True)
         self.archive = self.zip.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True)
         self.at, self.lines = 0, []
@@ -167,12 +176,13 @@ class PackageWriter:
     def add(self, kind: str, key: str, url: str, record: bytes, level: int) -> None:
         packed = gzip.compress(record, level, mtime=0)
         self.archive.write(packed)
-        self.lines.append(json.dumps({"key": key, "url": url, "type": kind, "offset": self.at, "length": len(packed)}))
+        entry = {"url": url, "id": key, "type": kind, "offset": self.at, "length": len(packed), "filename": ARCHIVE.rpartition("/")[2]}
+        self.lines.append(f"{sort_key(url)} {self.time} {json.dumps(entry)}\n")
         self.at += len(packed)
 
     def close(self) -> None:
         self.archive.close()
-        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(f"{x}\n" for x in self.lines))
+        self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(sorted(self.lines)))
         self.zip.close()
 
 
@@ -181,10 +191,10 @@ def records(f, size: int) -> Iterator[dict]:
     members = directory(f, size)
     index, base = members[INDEX], start_of(f, members[ARCHIVE])
     f.seek(start_of(f, index))
-    for line in f.read(index.size).decode().splitlines():
-        entry = json.loads(line)
-        f.seek(base + entry["offset"])
-        yield parse_record(gzip.decompress(f.read(entry["length"])))
+    entries = (json.loads(x.split(" ", 2)[2]) for x in f.read(index.size).decode().split("\n") if x)
+    for offset, length in sorted((e["offset"], e["length"]) for e in entries):
+        f.seek(base + offset)
+        yield parse_record(gzip.decompress(f.read(length)))
 
 
 # -- tables ------------------------------------------------------------------
@@ -238,7 +248,7 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T0
             for page, url, html, digest, kind, refers in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if writer is None:
                     sink = where.open_output_stream(f"{root}/{name}")
-                    writer = PackageWriter(sink)
+                    writer = PackageWriter(sink, date)
                 payload = html.encode()
                 writer.add(kind, str(page), url, record_bytes(kind, str(page), url, digest, len(payload), payload, str(refers), date), level)
                 n += 1

@@ -101,6 +101,11 @@ def test_kept_equals_a_brute_force_estimate(spark):
     assert sum((np.array(votes[i]) < 0).any() for i in want) > 20 and len(want) < len(votes)
 
 
+def test_sort_keys_of_urls():
+    assert wacz.sort_key("https://u@www.Example.org:8080/a b?c=/d") == "org,example,www)/ab?c=/d"
+    assert (wacz.sort_key("http://x.y"), wacz.sort_key(""), wacz.sort_key("no url")) == ("y,x)/", "-", "nourl")
+
+
 def test_rules_on_empty_tables_and_repeats(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     assert [r.kept for r in quality_rules.score(df).collect()] == [False] * 3
@@ -140,7 +145,7 @@ def test_directories_of_both_kinds(monkeypatch, limit):
         monkeypatch.setattr(zipfile, "ZIP64_LIMIT", limit)
         monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
     sink = io.BytesIO()
-    w = wacz.PackageWriter(sink)
+    w = wacz.PackageWriter(sink, "2026-01-02T03:04:05Z")
     for i in range(5):
         raw = str(i).encode() * 40
         w.add("response", str(i), "u", wacz.record_bytes("response", str(i), "u", sha1(raw).hexdigest(), len(raw), raw, None, "d"), 6)
@@ -150,7 +155,9 @@ def test_directories_of_both_kinds(monkeypatch, limit):
     members = wacz.directory(sink, size)
     assert set(members) == {wacz.ARCHIVE, wacz.INDEX}
     with zipfile.ZipFile(sink) as z:
-        lines = [json.loads(x) for x in z.read(wacz.INDEX).splitlines()]
+        text = z.read(wacz.INDEX).decode().splitlines()
+        assert text == sorted(text) and all(x.split(" ", 2)[1] == "20260102030405" for x in text)
+        lines = [json.loads(x.split(" ", 2)[2]) for x in text]
         whole = z.read(wacz.ARCHIVE)
     got = list(wacz.records(sink, size))
     assert [r["payload"] for r in got] == [str(i).encode() * 40 for i in range(5)]
