@@ -1,5 +1,6 @@
-import datetime
 import random
+from datetime import date, datetime, timedelta
+from time import sleep
 
 import pandas as pd
 import pytest
@@ -79,9 +80,9 @@ def run(spark, df, folder, name):
 
 
 def test_streams_give_the_batch_windows(spark, tmp_path):
-    start = datetime.datetime(2024, 1, 1)
+    start = datetime(2024, 1, 1)
     minutes = [0, 2, 4, 30, 31, 90, 91, 200]
-    rows = [(1, start + datetime.timedelta(minutes=m), m) for m in minutes] + [(2, start + datetime.timedelta(minutes=5), 5), (9, start + datetime.timedelta(days=2), 0)]
+    rows = [(1, start + timedelta(minutes=m), m) for m in minutes] + [(2, start + timedelta(minutes=5), 5), (9, start + timedelta(days=2), 0)]
     pd.DataFrame(rows, columns=["k", "ts", "v"]).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "a.parquet")
     stream = spark.readStream.schema("k long, ts timestamp, v long").parquet(str(tmp_path))
     spec = {"n": ("count", None)}
@@ -91,12 +92,16 @@ def test_streams_give_the_batch_windows(spark, tmp_path):
     assert sorted(r.n for r in got.collect()) == [1, 2, 2, 3]
 
 
-def test_threshold_sessions_of_a_stream(spark, tmp_path):
+@pytest.mark.parametrize("kind", ["long", "timestamp", "date"])
+def test_threshold_sessions_of_a_stream(spark, tmp_path, kind):
     values = [1, 5, 6, 1, 7, 8, 1, 9]
+    time = {"long": int, "timestamp": lambda t: datetime(2026, 1, 1, 0, 0, t, 500), "date": lambda t: date(2026, 1, t)}[kind]
     for part in (0, 1):
-        rows = [(1, t + 1, v) for t, v in enumerate(values)][4 * part : 4 * part + 4]
-        pd.DataFrame(rows, columns=["k", "t", "f"]).to_parquet(tmp_path / f"{part}.parquet")
-    stream = spark.readStream.schema("k long, t long, f long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    q = threshold_sessions(stream, "k", "f", "t", 3).writeStream.format("memory").queryName("thresholds").outputMode("append").trigger(availableNow=True).start()
+        rows = [(1, time(t + 1), v) for t, v in enumerate(values)][4 * part : 4 * part + 4]
+        spark.createDataFrame(rows, f"k long, t {kind}, f long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema(f"k long, t {kind}, f long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = threshold_sessions(stream, "k", "f", "t", 3).writeStream.format("memory").queryName(f"thresholds_{kind}").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted((r.t, r.session) for r in spark.table("thresholds").collect()) == [(2, 2), (3, 2), (5, 5), (6, 5), (8, 8)]
+    want = [(2, 2), (3, 2), (5, 5), (6, 5), (8, 8)]
+    assert sorted((r.t, r.session) for r in spark.table(f"thresholds_{kind}").collect()) == [(time(a), time(b)) for a, b in want]
