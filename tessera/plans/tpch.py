@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import int_div, percent
 from tessera.plans.prelude import sql
 from tessera.sources.generate import partsupp
-from tessera.sources.tables import load, load_integers
+from tessera.sources.tables import between_days, load, load_integers
 
 D96, D97, D98, D99 = 9496, 9862, 10227, 10592  # the first of January of each year
 RECENT = 11_300
 
 
 def _t(spark: SparkSession, sf_dir: str, *names: str):
-    return [partsupp(load(spark, sf_dir, "lineitem")) if n == "partsupp" else load_integers(spark, sf_dir, n) for n in names]
+    return [partsupp(load(spark, sf_dir, "lineitem")) if n == "partsupp" else load_integers(spark, sf_dir, n, times=True) for n in names]
 
 
 def _price():
@@ -37,7 +37,7 @@ def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     (li,) = _t(spark, sf_dir, "lineitem")
     charge = int_div(F.col("l_extendedprice") * (100 - F.col("l_discount")) * (100 + F.col("l_tax")), 10_000)
     sums = (
-        li.where(F.col("l_shipdate") <= D99 + 60)
+        li.where(between_days("l_shipdate", None, D99 + 60))
         .groupBy("l_returnflag", "l_linestatus")
         .agg(_sum("l_quantity", "sum_qty"), _sum("l_extendedprice", "sum_base_price"), _sum(_price(), "sum_disc_price"), _sum(charge, "sum_charge"), _sum("l_discount", "sum_disc"), F.count(F.lit(1)).alias("count_order"))
     )
@@ -75,8 +75,8 @@ Q2 = sql("""SELECT s_acctbal, s_name, n_name, p_partkey, p_brand, s_suppkey, ps_
 def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li = _t(spark, sf_dir, "customer", "orders", "lineitem")
     buyers = c.where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    open_orders = o.where(F.col("o_orderdate") < D98).join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    revenue = li.where(F.col("l_shipdate") > D98).groupBy("l_orderkey").agg(_sum(_price(), "revenue"))
+    open_orders = o.where(between_days("o_orderdate", None, D98 - 1)).join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+    revenue = li.where(between_days("l_shipdate", D98 + 1, None)).groupBy("l_orderkey").agg(_sum(_price(), "revenue"))
     return (
         revenue.join(open_orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .select("l_orderkey", "revenue", "o_orderdate").orderBy(F.desc("revenue"), "o_orderdate", "l_orderkey").limit(10)
@@ -90,7 +90,7 @@ Q3 = sql(f"""SELECT l_orderkey, CAST(sum({PRICE}) AS BIGINT) AS revenue, o_order
 def q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = _t(spark, sf_dir, "orders", "lineitem")
     late = li.where("l_commitdate < l_receiptdate").select("l_orderkey")
-    return o.where(F.col("o_orderdate").between(D97, D97 + 89)).join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("order_count"))
+    return o.where(between_days("o_orderdate", D97, D97 + 89)).join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("order_count"))
 
 
 Q4 = sql(f"""SELECT o_orderpriority, count(*) AS order_count FROM o WHERE o_orderdate BETWEEN {D97} AND {D97 + 89}
@@ -100,7 +100,7 @@ Q4 = sql(f"""SELECT o_orderpriority, count(*) AS order_count FROM o WHERE o_orde
 def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li, s, n = _t(spark, sf_dir, "customer", "orders", "lineitem", "supplier", "nation")
     local = n.where("n_regionkey = 1")
-    orders = o.where(F.col("o_orderdate").between(D96, D97 - 1)).join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    orders = o.where(between_days("o_orderdate", D96, D97 - 1)).join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     sold = li.select("l_orderkey", "l_suppkey", _price().alias("price")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     same = sold.join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
     return same.join(local, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(_sum("price", "revenue")).orderBy(F.desc("revenue"), "n_name")
@@ -112,7 +112,7 @@ Q5 = sql(f"""SELECT n_name, CAST(sum({PRICE}) AS BIGINT) AS revenue FROM c JOIN
 
 def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     (li,) = _t(spark, sf_dir, "lineitem")
-    kept = li.where(F.col("l_shipdate").between(D96, D97 - 1) & F.col("l_discount").between(5, 7) & (F.col("l_quantity") < 24))
+    kept = li.where(between_days("l_shipdate", D96, D97 - 1) & F.col("l_discount").between(5, 7) & (F.col("l_quantity") < 24))
     return kept.agg(F.sum(int_div(F.col("l_extendedprice") * F.col("l_discount"), 100)).alias("revenue"))
 
 
@@ -124,7 +124,7 @@ def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = n.where(F.col("n_nationkey").isin(3, 7))
     sellers = s.join(two, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("supp_nation"))
     buyers = c.join(two, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("cust_nation"))
-    sold = li.where(F.col("l_shipdate").between(D96, D98 - 1)).select("l_orderkey", "l_suppkey", (F.col("l_shipdate") >= D97).cast("int").alias("second_year"), _price().alias("price"))
+    sold = li.where(between_days("l_shipdate", D96, D98 - 1)).select("l_orderkey", "l_suppkey", (F.col("l_shipdate") >= D97).cast("int").alias("second_year"), _price().alias("price"))
     joined = sold.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     return joined.where("supp_nation <> cust_nation").groupBy("supp_nation", "cust_nation", "second_year").agg(_sum("price", "revenue")).orderBy("supp_nation", "cust_nation", "second_year")
 
@@ -138,7 +138,7 @@ def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li, s, n, p = _t(spark, sf_dir, "customer", "orders", "lineitem", "supplier", "nation", "part")
     parts = p.where("p_type = 'ECONOMY'").select("p_partkey")
     buyers = c.join(n.where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey")
-    orders = o.where(F.col("o_orderdate").between(D96, D98 - 1)).join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", (F.col("o_orderdate") >= D97).cast("int").alias("second_year"))
+    orders = o.where(between_days("o_orderdate", D96, D98 - 1)).join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", (F.col("o_orderdate") >= D97).cast("int").alias("second_year"))
     sold = li.select("l_orderkey", "l_partkey", "l_suppkey", _price().alias("price")).join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     joined = sold.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     mine = F.when(F.col("s_nationkey") == 4, F.col("price")).otherwise(0)
@@ -168,7 +168,7 @@ Q9 = sql(f"""SELECT n_name, o_orderdate, CAST(sum({PRICE} - ps_supplycost * l_qu
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, o, li, n = _t(spark, sf_dir, "customer", "orders", "lineitem", "nation")
     back = li.where("l_returnflag = 'R'").select("l_orderkey", _price().alias("price"))
-    orders = o.where(F.col("o_orderdate").between(D97, D97 + 89)).select("o_orderkey", "o_custkey")
+    orders = o.where(between_days("o_orderdate", D97, D97 + 89)).select("o_orderkey", "o_custkey")
     lost = back.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey").agg(_sum("price", "revenue"))
     named = lost.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return named.select("c_custkey", "c_name", "revenue", "c_acctbal", "n_name").orderBy(F.desc("revenue"), "c_custkey")
@@ -214,7 +214,7 @@ Q13 = sql("""SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(
 
 def q14(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p = _t(spark, sf_dir, "lineitem", "part")
-    sold = li.where(F.col("l_shipdate").between(D97, D97 + 29)).select("l_partkey", _price().alias("price")).join(p, F.col("l_partkey") == F.col("p_partkey"))
+    sold = li.where(between_days("l_shipdate", D97, D97 + 29)).select("l_partkey", _price().alias("price")).join(p, F.col("l_partkey") == F.col("p_partkey"))
     return sold.agg(percent(F.sum(F.when(F.col("p_type") == "PROMO", F.col("price")).otherwise(0)), F.sum("price")).alias("promo_revenue"))
 
 
@@ -223,7 +223,7 @@ Q14 = sql(f"SELECT CAST(sum(CASE WHEN p_type = 'PROMO' THEN {PRICE} ELSE 0 END)
 
 def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, s = _t(spark, sf_dir, "lineitem", "supplier")
-    revenue = li.where(F.col("l_shipdate").between(D97, D97 + 89)).groupBy("l_suppkey").agg(_sum(_price(), "total_revenue"))
+    revenue = li.where(between_days("l_shipdate", D97, D97 + 89)).groupBy("l_suppkey").agg(_sum(_price(), "total_revenue"))
     best = revenue.agg(F.max("total_revenue").alias("most"))  # one row
     top = revenue.crossJoin(F.broadcast(best)).where("total_revenue = most")
     return top.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", "s_name", "total_revenue").orderBy("s_suppkey")
@@ -283,7 +283,7 @@ Q19 = sql(f"""SELECT CAST(sum({PRICE}) AS BIGINT) AS revenue FROM li JOIN p ON l
 
 def q20(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p, s, ps = _t(spark, sf_dir, "lineitem", "part", "supplier", "partsupp")
-    sold = li.where(F.col("l_shipdate").between(D97, D98 - 1)).groupBy("l_partkey", "l_suppkey").agg(_sum("l_quantity", "sold"))
+    sold = li.where(between_days("l_shipdate", D97, D98 - 1)).groupBy("l_partkey", "l_suppkey").agg(_sum("l_quantity", "sold"))
     stock = ps.join(p.where("p_word = 5"), F.col("ps_partkey") == F.col("p_partkey"), "left_semi")
     spare = stock.join(sold, (F.col("ps_partkey") == F.col("l_partkey")) & (F.col("ps_suppkey") == F.col("l_suppkey"))).where("2 * ps_availqty > sold")
     return s.where("s_nationkey = 3").join(spare, F.col("s_suppkey") == F.col("ps_suppkey"), "left_semi").select("s_suppkey", "s_name").orderBy("s_name", "s_suppkey")
@@ -313,7 +313,7 @@ def q22(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = c.where(F.col("c_cntrycode").isin(13, 31, 23, 29, 30, 18, 17))
     mean = some.where("c_acctbal > 0").agg(int_div(F.sum("c_acctbal"), F.count(F.lit(1))).alias("mean"))  # one row
     rich = some.crossJoin(F.broadcast(mean)).where("c_acctbal > mean")
-    idle = rich.join(o.where(F.col("o_orderdate") >= RECENT), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    idle = rich.join(o.where(between_days("o_orderdate", RECENT, None)), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     return idle.groupBy("c_cntrycode").agg(F.count(F.lit(1)).alias("numcust"), _sum("c_acctbal", "totacctbal")).orderBy("c_cntrycode")
 
 
