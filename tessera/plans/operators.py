@@ -12,7 +12,7 @@ from tessera.functions import scalar as fn
 from tessera.operators.table import Table
 from tessera.plans.prelude import sql
 from tessera.sources.csv import read_csv, write_csv
-from tessera.sources.generate import generate_tpch
+from tessera.sources.generate import generate_one_to_one, generate_tpch
 from tessera.sources.tables import load, load_integers
 from tessera.storage import shared_dir
 
@@ -210,6 +210,15 @@ def _(spark, sf_dir):
     return reduce(DataFrame.unionByName, counts)
 
 
+@_query("generated_one_to_one", "SELECT CAST(500 AS BIGINT) AS n, CAST(sum(90000 + (k // 10) % 20001 + 100 * (k % 1000)) AS BIGINT) AS prices FROM range(500) t(k)")
+def _(spark, sf_dir):
+    made = generate_one_to_one(spark, 500)
+    li = Table(made["lineitem"]).with_columns(price=fn.int_div("l_extendedprice", F.col("l_quantity")))
+    both = Table(made["orders"]).rename("o_orderkey", "l_orderkey").inner_join(li, ["l_orderkey"], assert_unique=True)
+    found = Table(made["part"]).rename("p_partkey", "l_partkey").inner_join(both, ["l_partkey"], assert_unique=True)
+    return found.aggregate([], {"n": ("count", None), "prices": ("sum", "price")}).df
+
+
 @_query("join_inner_copy", sql("SELECT o_orderkey, o_custkey, c_nationkey FROM o JOIN c ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'", "o", "c"))
 def _(spark, sf_dir):
     c = _table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING").rename("c_custkey", "o_custkey")

@@ -47,6 +47,26 @@ def generate_tpch(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
     return {"customer": customer, "orders": orders, "lineitem": lineitem, "part": part, "supplier": supplier, "partsupp": supply, "nation": nation, "region": region}
 
 
+def generate_one_to_one(spark: SparkSession, rows: int) -> dict[str, DataFrame]:
+    """lineitem, orders and part of exactly ``rows`` rows each, key k of one belonging to key k of the others.
+
+    Prices follow the benchmark's rule for retail prices; a line is received two
+    days after it ships, and lines late in the year are neither returned nor billed.
+    """
+    r = lambda low, high, salt, name: between(low, high, salt).alias(name)
+    key = F.col("id")
+    quantity, ship = between(1, 50, "1q"), between(0, 364, "1s")
+    retail = 90_000 + F.call_function("div", key, F.lit(10)) % 20_001 + 100 * (key % 1000)
+    lineitem = spark.range(rows).select(
+        key.alias("l_orderkey"), key.alias("l_partkey"), quantity.alias("l_quantity"), (retail * quantity).alias("l_extendedprice"), r(4, 6, "1d", "l_discount"), r(0, 7, "1t", "l_tax"),
+        ship.alias("l_shipdate"), (ship + 1).alias("l_commitdate"), (ship + 2).alias("l_receiptdate"), F.when(ship + 2 > 168, 0).otherwise(between(1, 2, "1r")).alias("l_returnflag"),
+        F.when(ship > 168, 0).otherwise(1).cast("long").alias("l_linestatus"), r(0, 2, "1m", "l_shipmode"),
+    )
+    orders = spark.range(rows).select(key.alias("o_orderkey"), r(1, 4, "1p", "o_orderpriority"))
+    part = spark.range(rows).select(key.alias("p_partkey"), r(1, 6, "1y", "p_type"))
+    return {"lineitem": lineitem, "orders": orders, "part": part}
+
+
 def generate_other(spark: SparkSession, sf: float) -> dict[str, DataFrame]:
     """The tables of the medical, password, taxi and credit queries."""
     r = lambda low, high, salt, name: between(low, high, salt).alias(name)
