@@ -35,6 +35,7 @@ def build_session(name: str = "tessera", cpus: int | str = "*", shuffle_partitio
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
