@@ -52,7 +52,7 @@ class Sizes(NamedTuple):
 
     batch: int = 50_000
     family: int = 300_000
-    segment: int = 4_000_000
+    segment: int = 1_000_000
 
 
 #: Kinds of marks on a place: the context is repeated; its strings are to be compared, with few or with many others.
