@@ -93,7 +93,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     as many as it may lack and one more.  They are dealt out by signature and
     length partition, each class to its own and the next partition, so only sets
     of sizes that allow the threshold meet; the sizes themselves and the Jaccard
-    similarity decide.  Null and empty texts have no signature and no class; an
+    similarity decide.  All links between classes are given, so a large group of
+    texts that are all alike gives as many; ``minhash_dedup`` finds the groups
+    alone.  Null and empty texts have no signature and no class; an
     empty table gives no rows.
     """
     marked = with_signatures(df.select(F.col(key), F.col(text).alias("__text")), "__text", "found").where(F.size("found") > 0)
